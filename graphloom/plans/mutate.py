@@ -155,7 +155,7 @@ class Mutation:
                     raise GqlError("GQL edges have exactly one immutable type")
                 old = labels if labels is not None else F.col(LABELS)
                 own = F.array(*[F.lit(x) for x in a.labels])
-                labels = F.filter(old, lambda x, own=own: ~F.array_contains(own, x)) if removing else F.array_union(old, own)
+                labels = F.array_except(old, own) if removing else F.array_union(old, own)
                 touched = True
                 continue
             if a.kind == "property":
