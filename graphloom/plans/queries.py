@@ -90,8 +90,8 @@ MATCHES: dict[str, tuple[str, str]] = {
         "SELECT c_name AS customer FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)",
     ),
     "let_bindings": (
-        "MATCH (p:Part) LET tax = p.p_retailprice * 2, big = tax > 2500 FILTER big AND p.p_size < 10 RETURN p.p_name AS name, tax AS doubled",
-        "SELECT p_name AS name, p_retailprice * 2 AS doubled FROM part WHERE p_retailprice * 2 > 2500 AND p_size < 10",
+        "MATCH (p:Part) LET tax = p.p_retailprice * 2, big = tax > 1900 FILTER big AND p.p_size < 10 RETURN p.p_name AS name, tax AS doubled",
+        "SELECT p_name AS name, p_retailprice * 2 AS doubled FROM part WHERE p_retailprice * 2 > 1900 AND p_size < 10",
     ),
     "return_distinct": (
         "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT c.c_mktsegment AS segment, n.n_name AS nation",
