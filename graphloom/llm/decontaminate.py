@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._frames import materialise
+from graphloom.llm._frames import fresh, materialise
 from graphloom.llm._text import Tokens, byte_slices, texts_of
 
 PHRASE = 10
@@ -212,8 +212,9 @@ def find_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """*docs* without those that contain a test item."""
-    bad = find_matches(docs, bench, id_col, **how).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[f"`{id_col}`"].cast("long") == F.col("__bad"), "left_anti")
+    name = fresh(docs, "__bad")
+    bad = find_matches(docs, bench, id_col, **how).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs[f"`{id_col}`"].cast("long") == F.col(f"`{name}`"), "left_anti")
 
 
 def sql(phrase: int = PHRASE, slack: int = SLACK, near_share: float = NEAR_SHARE) -> str:
