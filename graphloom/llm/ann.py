@@ -6,6 +6,12 @@ of k * k cells. A query walks the cells in ascending order of the two summed
 half distances with a heap, until the visited cells hold ``candidates``
 entries; those entries are reranked by their true distance.
 
+How many candidates a recall needs depends on the vectors, so it is measured:
+``calibration`` vectors get their exact neighbours by one pass over all
+vectors, and ``candidates`` becomes the number of entries that the walk has
+seen when it has met the share ``recall`` of those neighbours. The codebooks
+have at most ``MAX_CENTROIDS`` centroids each, which bounds what is broadcast.
+
 Every vector is a query. A query travels once per visited first-half centroid
 with the list of its cells there, meets that block's entries in one sorted
 stream, and is compared with them by matrix products; each block returns its
@@ -31,7 +37,9 @@ from pyspark.sql import functions as F
 from graphloom.llm._frames import materialise
 
 NEIGHBOURS = 10
-CANDIDATES = 6000
+RECALL = 0.95
+CALIBRATION = 256
+MAX_CENTROIDS = 2048
 PER_CELL = 50
 ITERATIONS = 8
 
@@ -102,7 +110,35 @@ def cells_of_query(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int)
     return out
 
 
-def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", n: int = NEIGHBOURS, candidates: int = CANDIDATES, per_cell: int = PER_CELL, iterations: int = ITERATIONS, k: int | None = None) -> DataFrame:
+def _needed(entries: DataFrame, books: list[np.ndarray], sizes: np.ndarray, width: int, n: int, recall: float, calibration: int) -> int:
+    """Entries that the walk must see to meet the share *recall* of the exact neighbours of some vectors."""
+    asked = entries.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(calibration).collect()
+    own, x = np.array([r.id for r in asked]), np.array([r.vec for r in asked], np.float64)
+    shared = entries.sparkSession.sparkContext.broadcast((own, x))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for batch in batches:
+            e = _matrix(batch.column(1), width).astype(np.float64)
+            d = (q * q).sum(axis=1)[:, None] - 2 * (q @ e.T) + (e * e).sum(axis=1)
+            d[ids[:, None] == batch.column(0).to_numpy()] = np.inf
+            at = np.argpartition(d, min(n, d.shape[1]) - 1, axis=1)[:, :n]
+            row, place = np.repeat(np.arange(len(q)), at.shape[1]), at.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(d[row, place]), batch.column(2).take(pa.array(place)), batch.column(3).take(pa.array(place))], names=["q", "d", "i", "j"])
+
+    best = Window.partitionBy("q").orderBy("d")
+    found = entries.mapInArrow(nearest, "q int, d double, i int, j int").where("d < double('inf')").withColumn("r", F.row_number().over(best)).where(F.col("r") <= n).select("q", "i", "j").toPandas()
+    half, seen = width // 2, []
+    for q, hits in found.groupby("q"):
+        a, b = (((x[q, c] - m) ** 2).sum(axis=1) for c, m in zip((slice(0, half), slice(half, width)), books))
+        walk = a[:, None] + b
+        order = np.argsort(walk, axis=None)
+        total = np.cumsum(sizes.ravel()[order])
+        seen += total[np.searchsorted(walk.ravel()[order], walk[hits["i"], hits["j"]], "right") - 1].tolist()
+    return int(np.quantile(seen, recall, method="higher")) if seen else 1
+
+
+def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", n: int = NEIGHBOURS, candidates: int | None = None, recall: float = RECALL, calibration: int = CALIBRATION, per_cell: int = PER_CELL, iterations: int = ITERATIONS, k: int | None = None) -> DataFrame:
     """vec_id, neighbour_id, rank (from 1) and distance for each vector's *n* nearest others."""
     spark = table.sparkSession
     names = "vec_id bigint, neighbour_id bigint, rank int, distance double"
@@ -116,7 +152,7 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
     width, total = common["w"], common["count"]
     vectors = usable.where(F.size("vec") == width).select("id", v.cast("array<float>").alias("vec"))
     k = k or max(1, int(round((total / per_cell) ** 0.5)))
-    k = min(k, total)
+    k = min(k, total, MAX_CENTROIDS)
     half = width // 2
     books = codebooks(vectors, width, k, iterations)
     shared_books = spark.sparkContext.broadcast(books)
@@ -129,8 +165,10 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
 
     entries = materialise(vectors.mapInArrow(assign, "id bigint, vec array<float>, i int, j int"), "entries")
     sizes = np.zeros((k, k), np.int64)
-    for r in entries.groupBy("i", "j").count().collect():
-        sizes[r.i, r.j] = r["count"]
+    held = entries.groupBy("i", "j").count().toPandas()
+    sizes[held["i"], held["j"]] = held["count"]
+    if candidates is None:
+        candidates = _needed(entries, books, sizes, width, n, recall, calibration)
     shared_sizes = spark.sparkContext.broadcast(sizes)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
