@@ -62,7 +62,7 @@ MATCHES: dict[str, tuple[str, str]] = {
         "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b WHERE a.r_name < b.r_name",
     ),
     "cyclic_pattern": (
-        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier)-[:SUPPLIED]->(p:Part)<-[:CONTAINS]-(o:Order)<-[:PLACED]-(c) RETURN n.n_name AS nation, COUNT(*) AS n",
+        "MATCH (c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part)<-[:SUPPLIED]-(s:Supplier)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(c) RETURN n.n_name AS nation, COUNT(*) AS n",
         "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x ON x.l_suppkey = s_suppkey JOIN lineitem l ON l.l_partkey = x.l_partkey JOIN orders ON o_orderkey = l.l_orderkey AND o_custkey = c_custkey GROUP BY n_name",
     ),
     "trail": (
