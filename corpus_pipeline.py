@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated chunks of lines; documents of which nothing is left go."""
-    return linededup.remove_repeats(docs).where("chunks_removed = 0 OR trim(text) <> ''").select(*docs.columns)
+    """Cut repeated runs of lines; documents of which nothing is left go."""
+    return linededup.remove_repeated_runs(docs).where("chunks_removed = 0 OR trim(text) <> ''").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ two lines that occurs more than once in the whole corpus is kept at its first
 occurrence (smallest document id, then first place in it) and removed
 elsewhere, after its bytes have been compared.
 
+``remove_repeats`` follows that rule, of which there is SQL; a passage inside an
+otherwise different document is found only where its ends are boundaries.
+``remove_repeated_runs`` has no such limit: every two successive lines that are
+not blank are a span, with the blank lines between them, and a line goes if any
+of its spans occurs earlier. So each run of two or more lines that occurs
+earlier is removed whole, and the first occurrence of every line stays.
+
 The texts cross the network once, towards their list of repeated chunks; that
 exchange serves both the byte comparison and the rewriting.
 
@@ -22,7 +29,7 @@ Texts are processed whole. Extra columns are kept; input columns called
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -66,8 +73,40 @@ def _body_hash(body: str) -> int:
     return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def pair_spans(text: str) -> list[tuple[int, int, int]]:
+    """(first character, end character, 2) of every two successive lines that are not blank."""
+    lines: list[tuple[int, int]] = []
+    at = 0
+    for line in text.split("\n"):
+        if line and not line.isspace():
+            lines.append((at, at + len(line)))
+        at += len(line) + 1
+    return [(a, b, 2) for (a, _), (_, b) in zip(lines, lines[1:])]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
     """*docs* with repeated chunks cut from the text, and chunks_removed."""
+    return _cut(docs, id_col, text_col, lambda text: chunk_spans(text, window, divisor))
+
+
+def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """*docs* without the runs of two or more lines that occur earlier, and chunks_removed: how many runs went."""
+    return _cut(docs, id_col, text_col, pair_spans)
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, spans_of: Callable[[str], list[tuple[int, int, int]]]) -> DataFrame:
+    """*docs* without the spans of two or more lines that occur earlier, and chunks_removed."""
     kept = [c for c in docs.columns if c.lower() != "chunks_removed"]
     base = docs.select(*[docs[f"`{c}`"].cast("string").alias(c) if c.lower() == text_col.lower() else docs[f"`{c}`"] for c in kept])
     key, cuts = fresh(base, "__key"), fresh(base, "__cuts")
@@ -80,7 +119,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             rows = []
             for k, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for n, (a, b, lines) in enumerate(chunk_spans(text, window, divisor)):
+                for n, (a, b, lines) in enumerate(spans_of(text)):
                     if lines > 1 and not (body := text[a:b]).isspace():
                         rows.append((k, i, n, a, b, _body_hash(body)))
             cols = list(zip(*rows)) or [()] * 6
@@ -114,7 +153,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts = cols[place].to_pylist()
                 for i, spans_ in enumerate(lists.to_pylist()):
                     if spans_:
-                        texts[i], n[i] = without(texts[i], [(s["a"], s["b"]) for s in spans_]), len(spans_)
+                        own = merged([(s["a"], s["b"]) for s in spans_])
+                        texts[i], n[i] = without(texts[i], own), len(own)
                 cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], names=schema.names)
 

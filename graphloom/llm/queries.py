@@ -24,6 +24,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove_repeated_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_pairs(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_line_dedup, op3_minhash, op4_language_id, op5_token_count, op6_neighbours, op7_fuzzy_passages, op8_pseudonyms, op9_packing, op10_sharding)
+    for f in (op1_decontaminate, op2_line_dedup, op2_line_runs, op3_minhash, op4_language_id, op5_token_count, op6_neighbours, op7_fuzzy_passages, op8_pseudonyms, op9_packing, op10_sharding)
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.sql(), "op2_line_dedup": linededup.sql(), "op10_sharding": sharding.sql()}

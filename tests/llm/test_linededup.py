@@ -1,3 +1,6 @@
+import random
+
+import corpus_pipeline
 from cases import mixed, table
 
 from graphloom.llm import linededup as L
@@ -46,3 +49,38 @@ def test_collisions_are_told_apart_by_bytes(spark, monkeypatch):
     texts = ["\n".join(f"{c} {i}" for i in range(30)) for c in "abcd"]
     out = L.remove_repeats(table(spark, list(enumerate(texts))))
     assert {r.text for r in out.collect()} == set(texts)
+
+
+def _runs_by_brute_force(rows):
+    """The texts without every line that lies in a run of two lines that occurs earlier."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for n, pair in enumerate(zip(lines, lines[1:])):
+            gone |= {n, n + 1} if pair in seen else set()
+            seen.add(pair)
+        out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return out
+
+
+def test_runs_inside_other_documents_are_removed_whole(spark):
+    rng = random.Random(4)
+    passages = [[f"passage {p} line {i} {rng.random()}" for i in range(2 + p % 4)] for p in range(12)]
+    rows = []
+    for i in range(60):
+        host = [f"own {i} {j} {rng.random()}" for j in range(rng.randrange(2, 9))]
+        at = rng.randrange(len(host) + 1)
+        rows.append((i, "\n".join(host[:at] + passages[i % 12] + host[at:])))
+    rows.append((60, rows[7][1]))
+    out = {r.doc_id: r for r in L.remove_repeated_runs(table(spark, rows)).collect()}
+    assert {i: r.text for i, r in out.items()} == _runs_by_brute_force(rows)
+    assert [out[i].chunks_removed for i in range(61)] == [0] * 12 + [1] * 49 and out[60].text == ""
+    staged = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table(spark, rows), "").collect()}
+    assert staged == {i: r.text for i, r in out.items() if r.text}
+
+
+def test_runs_edge_cases(spark):
+    rows = [(1, "a\n\nb\nc"), (2, "x\na\n\nb\ny"), (3, "a\nb\nz"), (4, "\n \n\n"), (5, "\n \n\n"), (6, "one"), (7, "one"), (8, None), (9, "q\nq\nq")]
+    out = {r.doc_id: (r.text, r.chunks_removed) for r in L.remove_repeated_runs(table(spark, rows)).collect()}
+    assert out == {**{i: (t, 0) for i, t in rows}, 2: ("x\ny", 1), 9: ("q", 1)}
+    assert L.remove_repeated_runs(table(spark, mixed())).count() == len(mixed())
