@@ -9,7 +9,8 @@ stay equal across documents and differing ones stay different, and separators
 don't matter: the digits alone decide.
 
 Defined results: NULL text -> NULL text and ``n_pii`` 0; empty text -> empty
-text; numbers that fail validation are left alone; a value whose domain has a
+text; numbers that fail validation are left alone, but
+telephone numbers outside the national plan and all dotted quads are mapped; a value whose domain has a
 single element is left alone. Where two readings overlap, the one that starts
 first wins, then the order of ``_KINDS``. Texts are processed whole. Extra
 columns are kept; an input column called ``n_pii`` is replaced.
@@ -103,7 +104,9 @@ def _phone(m: str, f: Feistel, back: bool) -> str | None:
             return None
         return _refill(m, d[:2] + f"{f.permute(int(d[2:]), 10 ** (len(d) - 2), 'phone' + d[:2], back):0{len(d) - 2}d}")
     if d[0] in "01" or d[3] in "01":
-        return None
+        # no number of the plan, but somebody's all the same: it keeps to the rest of the ten-digit numbers
+        rest = lambda v: (s := f"{v:010d}")[0] in "01" or s[3] in "01"
+        return _refill(m, lead + f"{f.permute(int(d), 10**10, 'phone10', back, rest):010d}")
     x = (int(d[:3]) - 200) * 8_000_000 + (int(d[3:6]) - 200) * 10_000 + int(d[6:])
     y = f.permute(x, 800 * 8_000_000, "phone", back)
     return _refill(m, lead + f"{y // 8_000_000 + 200}{y // 10_000 % 800 + 200}{y % 10_000:04d}")
@@ -111,9 +114,9 @@ def _phone(m: str, f: Feistel, back: bool) -> str | None:
 
 def _ipv4(m: str, f: Feistel, back: bool) -> str | None:
     parts = [int(p) for p in m.split(".")]
-    if len(parts) != 4 or max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in m.split(".")) or not 1 <= parts[0] <= 223:
+    if len(parts) != 4 or max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in m.split(".")):
         return None
-    y = f.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ipv4", back, lambda v: 1 <= v >> 24 <= 223)
+    y = f.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ipv4", back)
     return ".".join(map(str, y.to_bytes(4, "big")))
 
 
@@ -155,19 +158,22 @@ def _date(m: str, f: Feistel, back: bool) -> str | None:
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _classes(s: str, f: Feistel, tweak: str, back: bool, alphabets: tuple[str, ...] = _ALPHABETS) -> str:
-    """Permute *s* among the strings with the same alphabet at each place; other characters stay."""
+def _classes(s: str, f: Feistel, tweak: str, back: bool, alphabets: tuple[str, ...] = _ALPHABETS, valid: Callable[[str], bool] | None = None) -> str:
+    """Permute *s* among the *valid* strings with the same alphabet at each place; other characters stay."""
     of = {c: a for a in alphabets for c in a}
     places = [(i, of[c]) for i, c in enumerate(s) if c in of]
     x, n = 0, 1
     for i, a in places:
         x, n = x * len(a) + a.index(s[i]), n * len(a)
-    y = f.permute(x, n, tweak + ":" + "".join(str(alphabets.index(of[c])) if c in of else c for c in s), back)
-    out = list(s)
-    for i, a in reversed(places):
-        y, r = divmod(y, len(a))
-        out[i] = a[r]
-    return "".join(out)
+
+    def text(y: int) -> str:
+        out = list(s)
+        for i, a in reversed(places):
+            y, r = divmod(y, len(a))
+            out[i] = a[r]
+        return "".join(out)
+
+    return text(f.permute(x, n, tweak + ":" + "".join(str(alphabets.index(of[c])) if c in of else c for c in s), back, (lambda y: valid(text(y))) if valid else lambda _: True))
 
 
 def _email(m: str, f: Feistel, back: bool) -> str | None:
@@ -181,14 +187,17 @@ def _access_key(m: str, f: Feistel, back: bool) -> str | None:
 
 def _secret(m: str, f: Feistel, back: bool) -> str | None:
     k = re.match(r"""[a-zA-Z_-]+\s*[=:]\s*["']?""", m).end()
-    hexa = re.fullmatch("[0-9a-f]+", m[k:])
-    return m[:k] + _classes(m[k:], f, "secret", back, ("0123456789abcdef",) if hexa else _ALPHABETS)
+    # each value keeps to its kind, so that the way back reads it alike: lower-case hex with plain digits, upper-case hex, others
+    kind = lambda v: "hex" if re.fullmatch("[0-9a-f]+", v) else "HEX" if re.fullmatch("[0-9A-F]+", v) else ""
+    own = kind(m[k:])
+    alphabets = {"hex": ("0123456789abcdef",), "HEX": ("0123456789ABCDEF",)}.get(own, _ALPHABETS)
+    return m[:k] + _classes(m[k:], f, "secret" + own.replace("hex", ""), back, alphabets, lambda v: kind(v) == own)
 
 
 _SEP = r"[ -]?"
 _KINDS: tuple[tuple[str, str, Callable[[str, Feistel, bool], str | None]], ...] = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}\b", _email),
-    ("secret", r"""\b(?:password|passwd|secret|token|api_key|apikey)\s*[=:]\s*["']?[A-Za-z0-9+/_-]{8,}""", _secret),
+    ("secret", r"""\b(?i:password|passwd|secret|token|api_key|apikey)\s*[=:]\s*["']?[A-Za-z0-9+/_-]{8,}""", _secret),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", _access_key),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     ("date", r"(?<![\w.])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?!\w|[.-][0-9])", _date),
@@ -198,7 +207,7 @@ _KINDS: tuple[tuple[str, str, Callable[[str, Feistel, bool], str | None]], ...]
     ("phone", r"(?<![\w])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?!\w)|\+[0-9](?:[ .-]?[0-9]){7,14}(?!\w)", _phone),
 )
 _PATTERNS = [(name, re.compile(p), fn) for name, p, fn in _KINDS]
-_MAYBE = r"[0-9@]|(?:password|passwd|secret|token|api_key|apikey)\s*[=:]"
+_MAYBE = r"[0-9@]|(?i:password|passwd|secret|token|api_key|apikey)\s*[=:]"
 
 
 def find(text: str) -> list[tuple[int, int, str]]:

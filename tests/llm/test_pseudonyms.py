@@ -57,3 +57,18 @@ def test_edge_cases(spark):
     assert (rows[100].text, rows[100].n_pii, rows[101].text) == (None, 0, "") and rows[200].n_pii == 3000 and len(set(rows[200].text.split())) == 1
     assert {i: r.text for i, r in rows.items() if i not in (None, 107, 200)} == {i: t for i, t in mixed() if i not in (None, 107)}
     assert P.pseudonymise_documents(table(spark, []), KEY).collect() == []
+
+
+def test_values_outside_the_plans_are_mapped_too(spark):
+    f = P.Feistel(KEY)
+    values = ["call +1 (017) 555-7713", "call +1 (415) 155-7713", "call (017) 555-7713", "ip 248.40.198.62 up", "ip 0.1.2.3 up", "ip 255.255.255.255 up", 'TOKEN = "9233A8EC77B01D4F"', "Password: hunter2hunter2", "API_KEY=ABCDEFABCDEF", 'token = "1234567g"', "SECRET=12345678"]
+    for text in values:
+        new, n = P.pseudonymise(text, f)
+        assert n == 1 and new != text, text
+        assert P.pseudonymise(new, f, back=True) == (text, 1)
+    # the kinds of values don't run into each other
+    for i in range(200):
+        for text in (f"TOKEN={i:07d}A", f"token={i:07d}g", f"token={i:07d}a", f"+1 (0{i % 100:02d}) 555-{i:04d}"):
+            assert P.pseudonymise(P.pseudonymise(text, f)[0], f, back=True) == (text, 1)
+    out = P.pseudonymise_documents(table(spark, [(1, "SECRET=abcdefgh")]), KEY).collect()
+    assert out[0].n_pii == 1 and "abcdefgh" not in out[0].text
