@@ -10,16 +10,19 @@
    ``k - t + 1`` lists of each (the prefix), so only those lists are merged and
    the long tail is skipped; a class with fewer than ``t`` shared lists is
    skipped altogether.
-4. Merging: each prefix list's smallest class is compared with all others of
-   the list, counting collisions over both whole signatures. Two classes that
-   these pairs already connect need no comparison of their own; every other two
-   of a list are compared as well. Nothing is capped, and the connected groups
-   are those of all pairs above the threshold, yet a group of n near copies
-   costs about n comparisons and not n * n.
+4. Merging: every two classes of a prefix list are compared once, counting
+   collisions over both whole signatures. Lists are cut into blocks and the
+   pairs of blocks are spread over the tasks. Nothing is capped.
 
-The result holds pairs of class representatives with at least ``t`` equal
-coordinates (all that step 4 compared), and one pair (representative, member)
-for each further member of a class, with the number of equal coordinates.
+The result holds all pairs of class representatives with at least ``t`` equal
+coordinates, and one pair (representative, member) for each further member of a
+class; as a class's members have one signature, every other pair of documents
+has the number of equal coordinates of its representatives. A group of n
+distinct near copies may have n * (n - 1) / 2 pairs.
+
+``drop_near_duplicates`` needs groups only and takes fewer comparisons: each
+list's smallest class with its others, then every two that these pairs don't
+connect. Its groups are those of all pairs.
 
 Defined results: NULL texts, empty texts and texts without a word take no
 part; texts shorter than a shingle have the whole text as their one shingle;
@@ -43,6 +46,7 @@ COORDINATES = 64
 SHINGLE = 3
 THRESHOLD = 0.5
 _SLICE = 1 << 20
+_BLOCK = 1000
 
 
 def _permutations(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +92,8 @@ def _verified(pairs: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
     return both.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), collisions.alias("matches")).where(F.col("matches") >= t)
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a < doc_b and the number of equal coordinates, as the module describes."""
-    t = max(1, int(np.ceil(threshold * k)))
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, shingle: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_a, doc_b, matches) of classes' further members; doc_id, sig of the representatives; cv, doc_id of their prefix lists."""
     sigs = materialise(signature_table(docs, id_col, text_col, k, shingle).groupBy("doc_id").agg(F.min("sig").alias("sig")), "signatures")
     classed = sigs.withColumn("rep", F.min("doc_id").over(Window.partitionBy("sig")))
     classed = materialise(classed, "classes")
@@ -102,6 +105,27 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = Window.partitionBy("doc_id")
     placed = shared.withColumn("s", F.count("*").over(own)).where(F.col("s") >= t).withColumn("p", F.row_number().over(own.orderBy("n", "cv")) + k - F.col("s"))
     prefix = materialise(placed.where(F.col("p") <= k - t + 1).select("cv", "doc_id"), "prefix")
+    return members, reps, prefix
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_a < doc_b and the number of equal coordinates, as the module describes."""
+    t = max(1, int(np.ceil(threshold * k)))
+    members, reps, prefix = _prefixes(docs, id_col, text_col, k, shingle, t)
+    # a list of several blocks meets block by block
+    sized = prefix.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("cv")) / _BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    others = sized.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = others.where("block <= o").select("cv", F.col("block").alias("x"), F.col("o").alias("y"), F.col("doc_id").alias("p"))
+    right = others.where("o <= block").select("cv", F.col("o").alias("x"), F.col("block").alias("y"), F.col("doc_id").alias("q"))
+    both = left.join(right, ["cv", "x", "y"]).where("x < y OR p < q")
+    pairs = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return members.unionByName(_verified(pairs, reps, t))
+
+
+def _group_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COORDINATES, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Enough of the near pairs to connect the groups of all of them."""
+    t = max(1, int(np.ceil(threshold * k)))
+    members, reps, prefix = _prefixes(docs, id_col, text_col, k, shingle, t)
     # first every list's smallest class against the others: linear in the postings
     pivots = prefix.withColumn("a", F.min("doc_id").over(Window.partitionBy("cv"))).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     first = materialise(_verified(pivots, reps, t), "pairs")
@@ -143,5 +167,5 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """*docs* without those that have a connected document with a smaller id."""
-    groups = components(near_pairs(docs, id_col, text_col, **how)).where("doc_id <> group_id").select("doc_id")
+    groups = components(_group_pairs(docs, id_col, text_col, **how)).where("doc_id <> group_id").select("doc_id")
     return docs.join(groups, docs[id_col].cast("long") == groups["doc_id"], "left_anti")

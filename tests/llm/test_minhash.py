@@ -72,3 +72,17 @@ def test_drop_and_edge_cases(spark):
     assert M.near_pairs(table(spark, [])).collect() == []
     assert M.drop_near_duplicates(table(spark, [])).collect() == []
     assert M.components(M.near_pairs(table(spark, [(1, "a b c d")]))).collect() == []
+
+
+def test_all_pairs_of_distinct_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(M, "_BLOCK", 7)
+    rng = random.Random(2)
+    base = words(rng, 150)
+    rows = _corpus() + [(1000 + i, " ".join(w if rng.random() > 0.02 else f"n{i}" for w in base)) for i in range(40)]
+    brute = _brute(rows)
+    sigs, _ = M.signatures([t for _, t in rows], M.COORDINATES, M.SHINGLE)
+    rep = {}
+    of = {i: rep.setdefault(sig.tobytes(), i) for (i, _), sig in sorted(zip(rows, sigs), key=lambda x: x[0][0])}
+    got = [(r.doc_a, r.doc_b, r.matches) for r in M.near_pairs(table(spark, rows)).collect()]
+    want = {(a, b, m) for (a, b), m in brute.items() if of[a] == a and (of[b] == b or of[b] == a)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
