@@ -29,7 +29,7 @@ def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_pairs(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

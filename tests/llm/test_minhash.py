@@ -86,3 +86,29 @@ def test_all_pairs_of_distinct_near_copies(spark, monkeypatch):
     got = [(r.doc_a, r.doc_b, r.matches) for r in M.near_pairs(table(spark, rows)).collect()]
     want = {(a, b, m) for (a, b), m in brute.items() if of[a] == a and (of[b] == b or of[b] == a)}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_links_and_groups_of_documents_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    base = words(rng, 150)
+    near = [(1000 + i, " ".join(w if rng.random() > 0.02 else f"n{i}" for w in base)) for i in range(40)]
+    rows = _corpus() + near + [(2000 + i, near[3][1]) for i in range(5)]
+    sigs, _ = M.signatures([t for _, t in rows], M.COORDINATES, M.SHINGLE)
+    first, size = {}, {}
+    for i, sig in sorted((i, sig.tobytes()) for (i, _), sig in zip(rows, sigs)):
+        first.setdefault(sig, i)
+        size[first[sig]] = size.get(first[sig], 0) + 1
+    of = {i: first[sig.tobytes()] for (i, _), sig in zip(rows, sigs)}
+    brute = _brute(rows)
+    links = {}
+    for a, b in {(of[a], of[b]) for a, b in brute if of[a] != of[b]}:
+        for p, q in ((a, b), (b, a)):
+            links.setdefault(p, set()).add(q)
+    group = _groups(brute)
+    want = {i: (c, group.get(i, i), size[c] - 1, len(links.get(c, ()))) for i, c in of.items() if size[c] > 1 or c in links}
+    for block in (M._BLOCK, 7):
+        monkeypatch.setattr(M, "_BLOCK", block)
+        got = M.near_duplicates(table(spark, rows)).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    assert M.near_duplicates(table(spark, [])).collect() == []
+    assert [tuple(r) for r in M.near_duplicates(table(spark, [(1, "a b c d"), (2, "x y"), (3, "A, b c D!"), (None, "x y"), (4, None), (5, "")])).orderBy("doc_id").collect()] == [(1, 1, 1, 1, 0), (3, 1, 1, 1, 0)]
