@@ -1,8 +1,9 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Vectors are halved; each half is quantised with its own codebook of ``k``
-centroids (Lloyd's iterations over all vectors), so a pair of centroids is one
-of k * k cells. A query walks the cells in ascending order of the two summed
+centroids (Lloyd's iterations over at most about ``FIT`` vectors chosen by a
+hash of their id), so a pair of centroids is one of k * k cells; every vector is
+indexed. A query walks the cells in ascending order of the two summed
 half distances with a heap, until the visited cells hold ``candidates``
 entries; those entries are reranked by their true distance.
 
@@ -12,10 +13,13 @@ vectors, and ``candidates`` becomes the number of entries that the walk has
 seen when it has met the share ``recall`` of those neighbours. The codebooks
 have at most ``MAX_CENTROIDS`` centroids each, which bounds what is broadcast.
 
-Every vector is a query. A query travels once per visited first-half centroid
-with the list of its cells there, meets that block's entries in one sorted
-stream, and is compared with them by matrix products; each block returns its
-best ``n`` only.
+Queries are the vectors that ``asked`` selects, all by default; they are
+searched among all vectors. A query travels once per visited first-half
+centroid with the list of its cells there, meets that centroid's entries in one
+sorted stream, and is compared with them by matrix products; each block returns
+its best ``n`` only. A centroid's entries are cut into blocks of about
+``BLOCK`` vectors, which is what a worker holds at a time, and a query visits
+each.
 
 Defined results: NULL ids, NULL or empty vectors, vectors with NULL or
 non-finite elements, and vectors of another length than the most frequent one
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm._frames import materialise
@@ -42,6 +46,9 @@ CALIBRATION = 256
 MAX_CENTROIDS = 2048
 PER_CELL = 50
 ITERATIONS = 8
+BLOCK = 50_000
+#: Vectors that the codebooks are fitted on, chosen by a hash of their id; all are where the table has no more.
+FIT = 500_000
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -138,8 +145,8 @@ def _needed(entries: DataFrame, books: list[np.ndarray], sizes: np.ndarray, widt
     return int(np.quantile(seen, recall, method="higher")) if seen else 1
 
 
-def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", n: int = NEIGHBOURS, candidates: int | None = None, recall: float = RECALL, calibration: int = CALIBRATION, per_cell: int = PER_CELL, iterations: int = ITERATIONS, k: int | None = None) -> DataFrame:
-    """vec_id, neighbour_id, rank (from 1) and distance for each vector's *n* nearest others."""
+def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", n: int = NEIGHBOURS, candidates: int | None = None, recall: float = RECALL, calibration: int = CALIBRATION, per_cell: int = PER_CELL, iterations: int = ITERATIONS, k: int | None = None, asked: Column | None = None) -> DataFrame:
+    """vec_id, neighbour_id, rank (from 1) and distance for the *n* nearest others of each vector that *asked*, a condition on ``id``, selects."""
     spark = table.sparkSession
     names = "vec_id bigint, neighbour_id bigint, rank int, distance double"
     v = F.col("vec")
@@ -154,7 +161,9 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
     k = k or max(1, int(round((total / per_cell) ** 0.5)))
     k = min(k, total, MAX_CENTROIDS)
     half = width // 2
-    books = codebooks(vectors, width, k, iterations)
+    share = max(1, -(-total // FIT))
+    fitted = vectors if share == 1 else materialise(vectors.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(share)) == 0), "fit")
+    books = codebooks(fitted, width, k, iterations)
     shared_books = spark.sparkContext.broadcast(books)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,49 +179,54 @@ def nearest_neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str =
     if candidates is None:
         candidates = _needed(entries, books, sizes, width, n, recall, calibration)
     shared_sizes = spark.sparkContext.broadcast(sizes)
+    parts = np.maximum(1, -(-sizes.sum(axis=1) // BLOCK))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, size = shared_books.value, shared_sizes.value
         for batch in batches:
             x = _matrix(batch.column(1), width)
             d = [((x[:, c] ** 2).sum(axis=1)[:, None] - 2 * (x[:, c] @ m.T) + (m * m).sum(axis=1)) for c, m in zip((slice(0, half), slice(half, width)), b)]
-            rows, blocks, lists = [], [], []
+            rows, blocks, chunks, lists = [], [], [], []
             for q in range(len(x)):
                 by: dict[int, list[int]] = {}
                 for i, j in cells_of_query(d[0][q], d[1][q], size, candidates + 1):
                     by.setdefault(i, []).append(j)
-                rows += [q] * len(by)
-                blocks += by.keys()
-                lists += by.values()
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([1] * len(rows), pa.int32()), batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(lists, pa.list_(pa.int32()))], names=["block", "kind", "id", "vec", "cells"])
-
-    form = "block int, kind int, id bigint, vec array<float>, cells array<int>"
-    asked = entries.select("id", "vec").mapInArrow(route, form)
-    stored = entries.select(F.col("i").alias("block"), F.lit(0).alias("kind"), "id", "vec", F.array("j").alias("cells"))
-    stream = asked.unionByName(stored).repartition("block").sortWithinPartitions("block", "kind")
+                for i, own in by.items():
+                    for c in range(parts[i]):
+                        rows.append(q)
+                        blocks.append(i)
+                        chunks.append(c)
+                        lists.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(chunks, pa.int32()), pa.array([1] * len(rows), pa.int32()), batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(lists, pa.list_(pa.int32()))], names=["block", "chunk", "kind", "id", "vec", "cells"])
+
+    form = "block int, chunk int, kind int, id bigint, vec array<float>, cells array<int>"
+    queries = (entries if asked is None else entries.where(asked)).select("id", "vec").mapInArrow(route, form)
+    chunk = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("i") + 1)) if parts.max() > 1 else F.lit(0)
+    stored = entries.select(F.col("i").alias("block"), chunk.cast("int").alias("chunk"), F.lit(0).alias("kind"), "id", "vec", F.array("j").alias("cells"))
+    stream = queries.unionByName(stored).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, ids, vecs, cells = None, [], [], []
         block: tuple | None = None
         for batch in batches:
-            which, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            which, kind = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy(), batch.column(2).to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(which) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(which)]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
                 if which[a] != here:
                     here, ids, vecs, cells, block = which[a], [], [], [], None
-                x, own = _matrix(part.column(3), width), part.column(2).to_numpy()
+                x, own = _matrix(part.column(4), width), part.column(3).to_numpy()
                 if kind[a] == 0:
                     ids.append(own)
                     vecs.append(x)
-                    cells.append(part.column(4).flatten().to_numpy())
+                    cells.append(part.column(5).flatten().to_numpy())
                     continue
                 if block is None:
                     c = np.concatenate(cells)
                     order = np.argsort(c, kind="stable")
                     e = np.concatenate(vecs)[order].astype(np.float64)
                     block = (np.concatenate(ids)[order], e, (e * e).sum(axis=1), np.searchsorted(c[order], np.arange(len(shared_sizes.value) + 1)))
-                yield from _answer(own, x.astype(np.float64), part.column(4), block, n)
+                yield from _answer(own, x.astype(np.float64), part.column(5), block, n)
 
     found = stream.mapInArrow(compare, "vec_id bigint, neighbour_id bigint, distance double")
     best = Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")

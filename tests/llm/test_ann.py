@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import ann
 
@@ -49,3 +50,22 @@ def test_edge_cases(spark):
     assert ann.nearest_neighbours(_table(spark, [])).collect() == [] and ann.nearest_neighbours(_table(spark, [(1, [1, 2])])).collect() == []
     one = ann.nearest_neighbours(_table(spark, [(1, [5]), (2, [7])])).collect()
     assert sorted((r.vec_id, r.neighbour_id, r.distance) for r in one) == [(1, 2, 2.0), (2, 1, 2.0)]
+
+
+def test_asked_vectors_among_all_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = (np.repeat(rng.normal(size=(20, 16)), 30, axis=0) + 0.3 * rng.normal(size=(600, 16))).astype(np.float32)
+    want = _exact(x.astype(np.float64), 10)
+    t = _table(spark, enumerate(x))
+    plain = lambda rows: sorted((*r[:3], round(r.distance, 9)) for r in rows)
+    whole = plain(ann.nearest_neighbours(t, asked=F.col("id") % 20 == 0).collect())
+    assert {r[0] for r in whole} == set(range(0, 600, 20)) and len(whole) == 300
+    assert np.mean([r[1] in want[r[0]] for r in whole]) >= 0.9
+    # cutting the centroids' entries into blocks changes nothing, and neither does asking for all
+    monkeypatch.setattr(ann, "BLOCK", 25)
+    assert plain(ann.nearest_neighbours(t, asked=F.col("id") % 20 == 0).collect()) == whole
+    assert plain(r for r in ann.nearest_neighbours(t).collect() if r.vec_id % 20 == 0) == whole
+    # codebooks of a sample index every vector all the same
+    monkeypatch.setattr(ann, "FIT", 200)
+    sampled = ann.nearest_neighbours(t, asked=F.col("id") % 20 == 0).collect()
+    assert len(sampled) == 300 and np.mean([r.neighbour_id in want[r.vec_id] for r in sampled]) >= 0.9
