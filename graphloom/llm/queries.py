@@ -47,7 +47,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chaining.passage_clusters(_table(spark, sf_dir, "documents"))
+    return chaining.passage_clusters(_table(spark, sf_dir, "documents")).select("doc_id", "passage_id", "start_word", "end_word")
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
