@@ -14,8 +14,12 @@ not blank are a span, with the blank lines between them, and a line goes if any
 of its spans occurs earlier. So each run of two or more lines that occurs
 earlier is removed whole, and the first occurrence of every line stays.
 
-The texts cross the network once, towards their list of repeated chunks; that
-exchange serves both the byte comparison and the rewriting.
+Chunks are known by 128 bits of a hash; how often each occurs, whether all its
+bytes are equal and which occurrence is first are aggregates that the tasks
+combine before they exchange them, so a chunk that a large part of the corpus
+has meets in no task. Only chunks whose occurrences are equal byte by byte are
+removed. The texts cross the network once, towards their list of repeated
+chunks; that exchange serves both the byte comparison and the rewriting.
 
 Defined results: NULL text stays NULL with 0 removed; an empty text is one
 empty line and stays; chunks of one line and chunks of white space only are
@@ -32,16 +36,24 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._frames import fresh
+from graphloom.llm._frames import fresh, materialise
 
 WINDOW = 2
 DIVISOR = 3
 _BASE = 31
 _MASK = (1 << 32) - 1
+_SPAN = [("k", "bigint"), ("id", "bigint"), ("n", "int"), ("a", "int"), ("b", "int"), ("h", "bigint"), ("g", "bigint")]
+_BODY = [("k", "bigint"), ("id", "bigint"), ("n", "int"), ("h", "bigint"), ("g", "bigint"), ("body", "string")]
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _record(rows: list[tuple], form: list[tuple[str, str]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(form)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, form)], names=[n for n, _ in form])
 
 
 def line_hash(line: str) -> int:
@@ -70,7 +82,13 @@ def chunk_spans(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list
 
 
 def _body_hash(body: str) -> int:
-    return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    """128 bits, of which the upper half is signed."""
+    return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "big", signed=True)
+
+
+def _halves(h: int) -> tuple[int, int]:
+    low = h & 0xFFFFFFFFFFFFFFFF
+    return h >> 64, low - (1 << 64) if low >> 63 else low
 
 
 def pair_spans(text: str) -> list[tuple[int, int, int]]:
@@ -121,26 +139,26 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, spans_of: Callable[[str],
             for k, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for n, (a, b, lines) in enumerate(spans_of(text)):
                     if lines > 1 and not (body := text[a:b]).isspace():
-                        rows.append((k, i, n, a, b, _body_hash(body)))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["k", "id", "n", "a", "b", "h"])
+                        rows.append((k, i, n, a, b, *_halves(_body_hash(body))))
+            yield _record(rows, _SPAN)
 
-    found = narrow.mapInArrow(chunks, "k bigint, id bigint, n int, a int, b int, h bigint")
-    repeated = found.withColumn("times", F.count("*").over(Window.partitionBy("h"))).where("times > 1")
-    spans = repeated.groupBy("k").agg(F.collect_set(F.struct("id", "n", "a", "b", "h")).alias(cuts)).withColumnRenamed("k", key)
+    found = materialise(narrow.mapInArrow(chunks, ", ".join(f"{n} {t}" for n, t in _SPAN)), "chunks")
+    often = found.groupBy("h", "g").agg(F.count("*").alias("times")).where("times > 1").select("h", "g")
+    repeated = materialise(found.join(often, ["h", "g"]).select(*[n for n, _ in _SPAN]), "repeated")
+    spans = repeated.groupBy("k").agg(F.collect_set(F.struct("id", "n", "a", "b", "h", "g")).alias(cuts)).withColumnRenamed("k", key)
     # every column goes along, so that this exchange of the texts is the one below too
     with_spans = keyed.join(spans, key)
+    order = with_spans.columns
+    keys, spot, shift = order.index(key), order.index(cuts), order.index(kept[0])
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, c["id"], c["n"], c["a"], c["b"], c["h"], text[c["a"] : c["b"]]) for k, text, cs in zip(batch.column(keys).to_pylist(), batch.column(place + shift).to_pylist(), batch.column(spot).to_pylist()) for c in cs]
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=["k", "id", "n", "a", "b", "h", "body"])
+            columns = (batch.column(i).to_pylist() for i in (keys, place + shift, spot))
+            yield _record([(k, c["id"], c["n"], c["h"], c["g"], text[c["a"] : c["b"]]) for k, text, cs in zip(*columns) for c in cs], _BODY)
 
-    order = with_spans.columns
-    keys, spot, shift = order.index(key), order.index(cuts), order.index(kept[0])
-    occurrences = with_spans.mapInArrow(bodies, "k bigint, id bigint, n int, a int, b int, h bigint, body string")
-    later = occurrences.withColumn("nth", F.rank().over(Window.partitionBy("h", "body").orderBy("id", "k", "n"))).where("nth > 1")
+    occurrences = with_spans.mapInArrow(bodies, ", ".join(f"{n} {t}" for n, t in _BODY))
+    first = occurrences.groupBy("h", "g").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(F.struct("id", "k", "n")).alias("first")).where("low = high").select("h", "g", "first")
+    later = repeated.join(first, ["h", "g"]).where(~F.struct("id", "k", "n").eqNullSafe(F.col("first")))
     cut = later.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias(cuts)).withColumnRenamed("k", key)
     joined = keyed.join(cut, key, "left").select(*[f"`{c}`" for c in kept], f"`{cuts}`")
     schema = T.StructType([*base.schema.fields, T.StructField("chunks_removed", T.IntegerType())])

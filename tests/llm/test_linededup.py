@@ -84,3 +84,10 @@ def test_runs_edge_cases(spark):
     out = {r.doc_id: (r.text, r.chunks_removed) for r in L.remove_repeated_runs(table(spark, rows)).collect()}
     assert out == {**{i: (t, 0) for i, t in rows}, 2: ("x\ny", 1), 9: ("q", 1)}
     assert L.remove_repeated_runs(table(spark, mixed())).count() == len(mixed())
+
+
+def test_equal_hashes_of_differing_bytes_are_left(spark, monkeypatch):
+    # the 128 bits agree, the bytes don't: nothing of them goes, whatever repeats
+    monkeypatch.setattr(L, "_body_hash", lambda body: 7 << 64 | 9)
+    rows = [(1, "a\nb"), (2, "x\na\nb"), (3, "c\nd")]
+    assert {r.doc_id: (r.text, r.chunks_removed) for r in L.remove_repeated_runs(table(spark, rows)).collect()} == {i: (t, 0) for i, t in rows}
