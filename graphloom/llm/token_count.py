@@ -51,7 +51,7 @@ def _encoder(vocabulary: bytes, pattern: str):
 
 
 def lengths(encoder, texts: list[str | None], piece_chars: int, batch_bytes: int) -> list[int | None]:
-    """Number of tokens of each text; pieces are gathered into batches of *batch_bytes*."""
+    """Number of tokens of each text; pieces are gathered into batches of *batch_bytes* UTF-8 bytes."""
     out = np.zeros(len(texts), np.int64)
     owner: list[int] = []
     pieces: list[str] = []
@@ -59,8 +59,10 @@ def lengths(encoder, texts: list[str | None], piece_chars: int, batch_bytes: int
 
     def flush() -> None:
         nonlocal size
-        for i, p in zip(owner, pieces):
-            out[i] += len(encoder.encode_ordinary(p))
+        if not pieces:
+            return
+        for i, tokens in zip(owner, encoder.encode_ordinary_batch(pieces, num_threads=1)):
+            out[i] += len(tokens)
         owner.clear()
         pieces.clear()
         size = 0
@@ -69,7 +71,7 @@ def lengths(encoder, texts: list[str | None], piece_chars: int, batch_bytes: int
         for p in split_safely(t, piece_chars) if t else ():
             owner.append(i)
             pieces.append(p)
-            size += len(p)
+            size += len(p.encode())
             if size >= batch_bytes:
                 flush()
     flush()
