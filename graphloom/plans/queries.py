@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import algorithms as A
+from graphloom.plans.store_queries import STORED
 from graphloom.plans.tables import OFFSET, business_graph, part_graph
 from graphloom.session import GraphSession
 
@@ -65,6 +65,38 @@ MATCHES: dict[str, tuple[str, str]] = {
         "MATCH (c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part)<-[:SUPPLIED]-(s:Supplier)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(c) RETURN n.n_name AS nation, COUNT(*) AS n",
         "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x ON x.l_suppkey = s_suppkey JOIN lineitem l ON l.l_partkey = x.l_partkey JOIN orders ON o_orderkey = l.l_orderkey AND o_custkey = c_custkey GROUP BY n_name",
     ),
+    "cyclic_from_customers": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)<-[:IN_NATION]-(s:Supplier)-[:SUPPLIED]->(p:Part)<-[:CONTAINS]-(o:Order)<-[:PLACED]-(c) RETURN n.n_name AS nation, COUNT(*) AS n",
+        "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x ON x.l_suppkey = s_suppkey JOIN lineitem l ON l.l_partkey = x.l_partkey JOIN orders ON o_orderkey = l.l_orderkey AND o_custkey = c_custkey GROUP BY n_name",
+    ),
+    "leading_optional": (
+        "OPTIONAL MATCH (c:Customer) WHERE c.c_acctbal > 1000000 RETURN c.c_name AS customer, COUNT(*) AS n",
+        "SELECT CAST(NULL AS VARCHAR) AS customer, CAST(1 AS BIGINT) AS n",
+    ),
+    "match_after_optional": (
+        "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 400000 MATCH (o)-[:CONTAINS]->(p:Part) RETURN c.c_name AS customer, COUNT(*) AS lines",
+        "SELECT c_name AS customer, count(*) AS lines FROM customer JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY c_name",
+    ),
+    "default_names": (
+        "MATCH (n:Nation) RETURN n.n_name, element_id(n), n.n_name || '!'",
+        f"""SELECT n_name AS "n.n_name", {_id('nation', 'n_nationkey')} AS "element_id(n)", n_name || '!' AS expression FROM nation""",
+    ),
+    "distinct_aggregates": (
+        "MATCH (p:Part) RETURN p.p_brand AS brand, SUM(DISTINCT p.p_size) AS total, AVG(DISTINCT p.p_size) AS middle, MIN(DISTINCT p.p_type) AS first, MAX(DISTINCT p.p_type) AS last, COUNT(DISTINCT p.p_type) AS kinds",
+        "SELECT p_brand AS brand, CAST(sum(DISTINCT p_size) AS BIGINT) AS total, avg(DISTINCT p_size) AS middle, min(p_type) AS first, max(p_type) AS last, count(DISTINCT p_type) AS kinds FROM part GROUP BY p_brand",
+    ),
+    "group_by": (
+        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN n.n_name AS nation, COUNT(*) AS n GROUP BY c",
+        "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    ),
+    "constructors": (
+        "MATCH (p:Part) LET r = {size: p.p_size, inner: {brand: p.p_brand}}, twice = r.size * 2, brand = r.inner.brand RETURN brand AS brand, twice AS twice, r.missing IS NULL AS missing, SQRT(r.size) AS root",
+        "SELECT p_brand AS brand, p_size * 2 AS twice, true AS missing, sqrt(p_size) AS root FROM part",
+    ),
+    "null_order": (
+        "MATCH (x) WHERE x:Region OR x:Nation RETURN x.n_name AS nation, x.r_name AS region ORDER BY nation DESC, region LIMIT 28",
+        "SELECT * FROM (SELECT n_name AS nation, NULL AS region FROM nation UNION ALL SELECT NULL, r_name FROM region) ORDER BY nation DESC NULLS LAST, region LIMIT 28",
+    ),
     "trail": (
         "MATCH (a:Nation)-[x:IN_REGION]->(r:Region)<-[y:IN_REGION]-(b:Nation) RETURN a.n_name AS a, b.n_name AS b",
         "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
@@ -153,11 +185,22 @@ _START = OFFSET["part"] + 1
 _BFS = f"WITH RECURSIVE {_NEXT}, walk AS (SELECT CAST({_START} AS BIGINT) AS id, 0 AS depth UNION SELECT t, depth + 1 FROM walk JOIN next ON s = id WHERE depth < 14)"
 
 
-def _pagerank_sql(turns: int) -> str:
-    parts = [f"WITH {_NEXT}", "n AS (SELECT count(*) AS n FROM v)", "w AS (SELECT s, t, 1.0::DOUBLE / count(*) OVER (PARTITION BY s) AS w FROM next)", "r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM v, n)"]
-    for i in range(turns):
-        parts.append(f"r{i + 1} AS (SELECT v.id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce((SELECT sum(r) FROM r{i} WHERE id NOT IN (SELECT s FROM next)), 0) / n + 0.85::DOUBLE * coalesce(g.g, 0) AS r FROM v CROSS JOIN n LEFT JOIN (SELECT t, sum(r * w) AS g FROM w JOIN r{i} ON id = s GROUP BY t) g ON g.t = v.id)")
-    return ", ".join(parts) + f" SELECT id AS vertex_id, round(r, 9) AS rank FROM r{turns}"
+#: All vertices and edges of the business graph.
+_VERTICES = "v AS (" + " UNION ALL ".join(f"SELECT {_id(kind, key)} AS id FROM {name}" for kind, name, key in (("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("supplier", "supplier", "s_suppkey"), ("customer", "customer", "c_custkey"), ("part", "part", "p_partkey"), ("order", "orders", "o_orderkey"))) + ")"
+_EDGES = "e AS (" + " UNION ALL ".join(
+    f"SELECT '{kind}' AS edge_label, {_id(a, x)} AS s, {_id(b, y)} AS t FROM {name}"
+    for kind, a, x, b, y, name in (
+        ("in_region", "nation", "n_nationkey", "region", "n_regionkey", "nation"), ("in_nation", "customer", "c_custkey", "nation", "c_nationkey", "customer"), ("in_nation", "supplier", "s_suppkey", "nation", "s_nationkey", "supplier"),
+        ("placed", "customer", "o_custkey", "order", "o_orderkey", "orders"), ("contains", "order", "l_orderkey", "part", "l_partkey", "lineitem"), ("supplied", "supplier", "l_suppkey", "part", "l_partkey", "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x"),
+    )
+) + ")"
+
+#: Every turn's ranks until their summed change is within the tolerance.
+_PAGERANK = f"""WITH RECURSIVE {_NEXT}, n AS (SELECT count(*) AS n FROM v), w AS (SELECT s, t, 1.0::DOUBLE / count(*) OVER (PARTITION BY s) AS w FROM next), loose AS (SELECT id FROM v WHERE id NOT IN (SELECT s FROM next)),
+r(turn, id, rank, done) AS (SELECT 0, id, 1.0::DOUBLE / n, false FROM v, n UNION ALL SELECT turn + 1, id, new, sum(abs(new - old)) OVER () <= 1e-8 FROM (
+  SELECT o.turn, o.id, o.rank AS old, 0.15::DOUBLE / n.n + 0.85::DOUBLE * d.d / n.n + 0.85::DOUBLE * coalesce(g.g, 0) AS new
+  FROM r o CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS d FROM r WHERE id IN (SELECT id FROM loose)) d LEFT JOIN (SELECT t, sum(rank * w) AS g FROM r JOIN w ON r.id = w.s GROUP BY t) g ON g.t = o.id WHERE NOT o.done AND o.turn < 100))
+SELECT id AS vertex_id, round(rank, 9) AS rank, CAST(turn AS BIGINT) AS iterations, done AS converged FROM r WHERE turn = (SELECT max(turn) FROM r)"""
 
 
 #: name -> (statement, SQL or None)
@@ -166,22 +209,46 @@ CALLS: dict[str, tuple[str, str | None]] = {
     "algo_sssp": (f"CALL algo.sssp('parts', {_START}) YIELD vertex_id, distance RETURN vertex_id, distance", _BFS + " SELECT id AS vertex_id, CAST(min(depth) AS INTEGER) AS distance FROM walk GROUP BY id"),
     "algo_dfs": (f"CALL algo.dfs('parts', {_START})", None),
     "algo_wcc": (
-        "CALL algo.wcc('business', edge_label := 'in_nation') YIELD vertex_id, component_id, component_size RETURN vertex_id, component_id, component_size",
+        "CALL algo.wcc('business')",
+        f"WITH RECURSIVE {_EDGES}, {_VERTICES}, u AS (SELECT s, t FROM e UNION SELECT t, s FROM e), c(id, root) USING KEY (id) AS (SELECT id, id FROM v UNION SELECT u.t, min(c.root) FROM c JOIN u ON u.s = c.id JOIN recurring.c AS r ON r.id = u.t WHERE c.root < r.root GROUP BY u.t) SELECT id AS vertex_id, root AS component_id, count(*) OVER (PARTITION BY root) AS component_size FROM c",
+    ),
+    "algo_wcc_in_nation": (
+        "CALL algo.wcc('business', edge_label := 'in_nation')",
         f"WITH m AS (SELECT {_id('nation', 'n_nationkey')} AS id, {_id('nation', 'n_nationkey')} AS root FROM nation UNION ALL SELECT {_id('customer', 'c_custkey')}, {_id('nation', 'c_nationkey')} FROM customer UNION ALL SELECT {_id('supplier', 's_suppkey')}, {_id('nation', 's_nationkey')} FROM supplier UNION ALL SELECT {_id('region', 'r_regionkey')}, {_id('region', 'r_regionkey')} FROM region UNION ALL SELECT {_id('part', 'p_partkey')}, {_id('part', 'p_partkey')} FROM part UNION ALL SELECT {_id('order', 'o_orderkey')}, {_id('order', 'o_orderkey')} FROM orders) SELECT id AS vertex_id, root AS component_id, count(*) OVER (PARTITION BY root) AS component_size FROM m",
     ),
-    "algo_scc": ("CALL algo.scc('parts')", None),
+    "algo_closeness": (
+        "CALL algo.closeness('business')",
+        f"WITH RECURSIVE {_EDGES}, {_VERTICES}, a AS (SELECT DISTINCT s, t FROM e), w AS (SELECT s AS src, t AS v, 1 AS d FROM a UNION SELECT src, t, d + 1 FROM w JOIN a ON s = w.v), best AS (SELECT src, v, min(d) AS d FROM w WHERE src <> v GROUP BY src, v), own AS (SELECT src, count(*) AS r, CAST(sum(d) AS BIGINT) AS d FROM best GROUP BY src) "
+        "SELECT id AS vertex_id, coalesce(r, 0) AS reachable_count, coalesce(d, 0) AS distance_sum, CASE WHEN r IS NULL THEN 0.0::DOUBLE ELSE r * r / ((SELECT count(*) - 1 FROM v) * d) END AS closeness_centrality FROM v LEFT JOIN own ON src = id",
+    ),
+    "yield_properties": (
+        "CALL algo.degree('parts') YIELD vertex_id, p_brand, out_degree RETURN p_brand AS brand, SUM(out_degree) AS links, COUNT(vertex_id) AS parts",
+        f"WITH {_NEXT} SELECT p_brand AS brand, CAST(sum((SELECT count(*) FROM next WHERE s = {_id('part', 'p_partkey')})) AS BIGINT) AS links, count(*) AS parts FROM part GROUP BY p_brand",
+    ),
+    "batch_call": (
+        "MATCH (a:Part) FILTER a.p_brand = 'Brand#11' CALL algo.bfs('parts', element_id(a)) YIELD vertex_id, depth RETURN depth, COUNT(*) AS n",
+        f"WITH RECURSIVE {_NEXT}, walk AS (SELECT {_id('part', 'p_partkey')} AS id, 0 AS depth FROM part WHERE p_brand = 'Brand#11' UNION SELECT t, depth + 1 FROM walk JOIN next ON s = id WHERE depth < 14) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n FROM (SELECT id, min(depth) AS depth FROM walk GROUP BY id) GROUP BY depth",
+    ),
+    "algo_scc": (
+        "CALL algo.scc('parts')",
+        f"WITH RECURSIVE {_NEXT}, a AS (SELECT DISTINCT s, t FROM next WHERE s <> t), w AS (SELECT s, t FROM a UNION SELECT w.s, a.t FROM w JOIN a ON a.s = w.t), m AS (SELECT v.id, least(v.id, coalesce(min(x.t), v.id)) AS root FROM v LEFT JOIN (SELECT p.s, p.t FROM w p JOIN w q ON p.s = q.t AND p.t = q.s) x ON x.s = v.id GROUP BY v.id) SELECT id AS vertex_id, root AS component_id, count(*) OVER (PARTITION BY root) AS component_size FROM m",
+    ),
+    "algo_scc_business": (
+        "CALL algo.scc('business')",
+        f"WITH {_VERTICES} SELECT id AS vertex_id, id AS component_id, CAST(1 AS BIGINT) AS component_size FROM v",
+    ),
     "algo_louvain": ("CALL algo.louvain('parts')", None),
     "algo_degree": (
         "CALL algo.degree('parts')",
         f"WITH {_NEXT} SELECT v.id AS vertex_id, (SELECT count(*) FROM next WHERE s = v.id) AS out_degree, (SELECT count(*) FROM next WHERE t = v.id) AS in_degree, (SELECT count(*) FROM next WHERE s = v.id) + (SELECT count(*) FROM next WHERE t = v.id) AS total_degree FROM v",
     ),
     "algo_triangle_count": (
-        "CALL algo.triangle_count('parts') YIELD vertex_id, triangle_count, degree, global_triangle_count RETURN vertex_id, triangle_count, degree, global_triangle_count",
-        f"WITH {_SIMPLE}, tri AS (SELECT a.s AS id, count(*) AS n FROM u a JOIN u b ON a.s = b.s AND a.t < b.t JOIN u c ON c.s = a.t AND c.t = b.t GROUP BY a.s) SELECT v.id AS vertex_id, CAST(coalesce(n, 0) AS BIGINT) AS triangle_count, CAST(coalesce(degree, 0) AS BIGINT) AS degree, CAST((SELECT sum(n) / 3 FROM tri) AS BIGINT) AS global_triangle_count FROM v LEFT JOIN tri ON tri.id = v.id LEFT JOIN deg ON deg.id = v.id",
+        "CALL algo.triangle_count('parts') YIELD vertex_id, triangle_count, degree, local_clustering_coefficient, global_triangle_count RETURN vertex_id, triangle_count, degree, local_clustering_coefficient, global_triangle_count",
+        f"WITH {_SIMPLE}, tri AS (SELECT a.s AS id, count(*) AS n FROM u a JOIN u b ON a.s = b.s AND a.t < b.t JOIN u c ON c.s = a.t AND c.t = b.t GROUP BY a.s) SELECT v.id AS vertex_id, CAST(coalesce(n, 0) AS BIGINT) AS triangle_count, CAST(coalesce(degree, 0) AS BIGINT) AS degree, CASE WHEN coalesce(degree, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(n, 0) / (degree * (degree - 1)) END AS local_clustering_coefficient, CAST((SELECT sum(n) / 3 FROM tri) AS BIGINT) AS global_triangle_count FROM v LEFT JOIN tri ON tri.id = v.id LEFT JOIN deg ON deg.id = v.id",
     ),
     "algo_lcc": (
-        "CALL algo.lcc('parts') YIELD vertex_id, degree, directed_neighbor_edge_count RETURN vertex_id, degree, directed_neighbor_edge_count",
-        f"WITH {_SIMPLE}, near AS (SELECT a.s AS id, count(*) AS n FROM u a JOIN u b ON a.s = b.s AND a.t <> b.t JOIN d c ON c.s = a.t AND c.t = b.t GROUP BY a.s) SELECT v.id AS vertex_id, CAST(coalesce(degree, 0) AS BIGINT) AS degree, CAST(coalesce(n, 0) AS BIGINT) AS directed_neighbor_edge_count FROM v LEFT JOIN near ON near.id = v.id LEFT JOIN deg ON deg.id = v.id",
+        "CALL algo.lcc('parts') YIELD vertex_id, degree, directed_neighbor_edge_count, local_clustering_coefficient RETURN vertex_id, degree, directed_neighbor_edge_count, local_clustering_coefficient",
+        f"WITH {_SIMPLE}, near AS (SELECT a.s AS id, count(*) AS n FROM u a JOIN u b ON a.s = b.s AND a.t <> b.t JOIN d c ON c.s = a.t AND c.t = b.t GROUP BY a.s) SELECT v.id AS vertex_id, CAST(coalesce(degree, 0) AS BIGINT) AS degree, CAST(coalesce(n, 0) AS BIGINT) AS directed_neighbor_edge_count, CASE WHEN coalesce(degree, 0) < 2 THEN 0.0::DOUBLE ELSE coalesce(n, 0) / (degree * (degree - 1)) END AS local_clustering_coefficient FROM v LEFT JOIN near ON near.id = v.id LEFT JOIN deg ON deg.id = v.id",
     ),
     "algo_shortest_path": (
         f"MATCH (a:Part), (b:Part) FILTER element_id(a) = {_START} AND element_id(b) = {_START + 100} CALL algo.shortest_path_length('parts', element_id(a), element_id(b)) YIELD distance RETURN distance",
@@ -203,11 +270,13 @@ def node_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.pagerank(*A.projection(part_graph(spark, sf_dir)), max_iterations=6).select("vertex_id", F.round("rank", 9).alias("rank"))
+    return session(spark, sf_dir, True).sql("CALL algo.pagerank('parts')").withColumn("rank", F.round("rank", 9))
 
 
-def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark, sf_dir).sql("CALL algo.closeness('business', edge_label := 'in_nation') YIELD vertex_id, reachable_count, distance_sum RETURN vertex_id, reachable_count, distance_sum")
+def named_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of path values, one column each."""
+    p = session(spark, sf_dir).sql("MATCH p = (s:Supplier)-[:IN_NATION]->(n:Nation)-[e:IN_REGION]->(r:Region) RETURN p")
+    return p.select(F.size("p.nodes").alias("nodes"), F.size("p.edges").alias("edges"), F.col("p.nodes")[0]["s_name"].alias("supplier"), F.col("p.nodes")[1]["n_name"].alias("nation"), F.col("p.nodes")[2]["__gql_labels"].alias("last"), F.col("p.edges")[1]["__gql_type"].alias("kind"), F.col("p.edges")[1]["__gql_target"].alias("target"))
 
 
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +284,7 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark, sf_dir).sql("CALL gql_csr_edge_stats('business')").where("edge_label IN ('placed', 'in_nation')")
+    return session(spark, sf_dir).sql("CALL gql_csr_edge_stats('business')")
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,14 +312,16 @@ UNION ALL SELECT 'ATLANTIS', NULL, false, NULL"""
 
 QUERIES: dict[str, Query] = {k: _statement(text) for k, (text, _) in MATCHES.items()}
 QUERIES |= {k: _statement(text) for k, (text, _) in CALLS.items()}
-QUERIES |= {"node_values": node_values, "algo_pagerank": pagerank, "algo_closeness": closeness, "neighbors": neighbors, "edge_stats": edge_stats, "mutations": mutations}
+QUERIES |= {k: f for k, (f, _) in STORED.items()}
+QUERIES |= {"node_values": node_values, "named_path": named_path, "algo_pagerank": pagerank, "neighbors": neighbors, "edge_stats": edge_stats, "mutations": mutations}
 
 ORACLES: dict[str, str] = {k: sql for k, (_, sql) in [*MATCHES.items(), *CALLS.items()] if sql}
+ORACLES |= {k: sql for k, (_, sql) in STORED.items()}
 ORACLES |= {
-    "algo_pagerank": _pagerank_sql(6),
-    "algo_closeness": f"WITH one AS (SELECT {_id('customer', 'c_custkey')} AS id FROM customer UNION ALL SELECT {_id('supplier', 's_suppkey')} FROM supplier), rest AS (SELECT {_id('nation', 'n_nationkey')} AS id FROM nation UNION ALL SELECT {_id('region', 'r_regionkey')} FROM region UNION ALL SELECT {_id('part', 'p_partkey')} FROM part UNION ALL SELECT {_id('order', 'o_orderkey')} FROM orders) SELECT id AS vertex_id, CAST(1 AS BIGINT) AS reachable_count, CAST(1 AS BIGINT) AS distance_sum FROM one UNION ALL SELECT id, 0, 0 FROM rest",
+    "algo_pagerank": _PAGERANK,
+    "named_path": f"SELECT 3 AS nodes, 2 AS edges, s_name AS supplier, n_name AS nation, 'region' AS last, 'in_region' AS kind, {_id('region', 'r_regionkey')} AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "neighbors": f"SELECT {_id('customer', 'c_custkey')} AS neighbor_id FROM customer WHERE c_nationkey = 7 UNION ALL SELECT {_id('supplier', 's_suppkey')} FROM supplier WHERE s_nationkey = 7",
-    "edge_stats": "WITH e AS (SELECT 'placed' AS edge_label, o_custkey AS s, o_orderkey AS t FROM orders UNION ALL SELECT 'in_nation', c_custkey, c_nationkey FROM customer UNION ALL SELECT 'in_nation', -1 - s_suppkey, s_nationkey FROM supplier), o AS (SELECT edge_label, s, count(*) AS d FROM e GROUP BY ALL), i AS (SELECT edge_label, t, count(*) AS d FROM e GROUP BY ALL) SELECT o.*, i.* EXCLUDE (l) FROM (SELECT edge_label, CAST(sum(d) AS BIGINT) AS edge_count, count(*) AS outgoing_vertex_count, avg(d) AS avg_outgoing_degree, max(d) AS max_outgoing_degree FROM o GROUP BY edge_label) o JOIN (SELECT edge_label AS l, count(*) AS incoming_vertex_count, avg(d) AS avg_incoming_degree, max(d) AS max_incoming_degree FROM i GROUP BY edge_label) i ON o.edge_label = i.l",
+    "edge_stats": f"WITH {_EDGES}, o AS (SELECT edge_label, s, count(*) AS d FROM e GROUP BY ALL), i AS (SELECT edge_label, t, count(*) AS d FROM e GROUP BY ALL) SELECT o.*, i.* EXCLUDE (l) FROM (SELECT edge_label, CAST(sum(d) AS BIGINT) AS edge_count, count(*) AS outgoing_vertex_count, avg(d) AS avg_outgoing_degree, max(d) AS max_outgoing_degree FROM o GROUP BY edge_label) o JOIN (SELECT edge_label AS l, count(*) AS incoming_vertex_count, avg(d) AS avg_incoming_degree, max(d) AS max_incoming_degree FROM i GROUP BY edge_label) i ON o.edge_label = i.l",
     "mutations": _MUTATED,
 }
 

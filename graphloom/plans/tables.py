@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.plans.graph import EDGE_ID, ID, LABELS, SOURCE, TARGET, TYPE, Graph
 
-OFFSET = {"region": 10**9, "nation": 2 * 10**9, "supplier": 3 * 10**9, "customer": 4 * 10**9, "part": 5 * 10**9, "order": 10**12}
+#: Each kind of vertex has ids of its own high bits.
+OFFSET = {kind: i << 56 for i, kind in enumerate(("region", "nation", "supplier", "customer", "part", "order"), 1)}
 _NODES = {
     "region": ("region", "r_regionkey", ["r_name"]),
     "nation": ("nation", "n_nationkey", ["n_name"]),
@@ -73,3 +74,13 @@ def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
     pairs = line.join(after, ["l_orderkey", "l_linenumber"])
     e = pairs.select(F.shiftrightunsigned(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "next"), 1).alias(EDGE_ID), vertex_id("part", "l_partkey").alias(SOURCE), vertex_id("part", "next").alias(TARGET), F.lit("next").alias(TYPE))
     return Graph("parts", part, e)
+
+
+def ring_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations, each leading to the next one of its region by key, and the last to the first."""
+    nation = table(spark, sf_dir, "nation")
+    v = nation.select(vertex_id("nation", "n_nationkey").alias(ID), F.array(F.lit("nation")).alias(LABELS), "n_name", "n_regionkey")
+    own = Window.partitionBy("n_regionkey")
+    after = F.coalesce(F.lead("n_nationkey").over(own.orderBy("n_nationkey")), F.min("n_nationkey").over(own))
+    e = nation.withColumn("next", after).select((F.col("n_nationkey").cast("long") + 1).alias(EDGE_ID), vertex_id("nation", "n_nationkey").alias(SOURCE), vertex_id("nation", "next").alias(TARGET), F.lit("next").alias(TYPE))
+    return Graph("ring", v, e)
