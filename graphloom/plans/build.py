@@ -193,8 +193,7 @@ class Builder:
         if begin in bound:
             df = self.with_props(df, bound[begin], start, scope)
             df = filtered(df, scope)
-        steps = [(i, i + 1, i - 1) for i in range(begin + 1, len(parts), 2)] + [(i, i - 1, i + 1) for i in range(begin - 1, -1, -2)]
-        for at, there, here in steps:
+        for at, there, here in self.steps(parts, begin, bound, scope):
             edge, target = parts[at], parts[there]
             if there < at:
                 edge = S.Edge(edge.var, edge.labels, {"out": "in", "in": "out"}.get(edge.direction, "any"), edge.least, edge.most, edge.props)
@@ -206,6 +205,34 @@ class Builder:
             df = filtered(df, scope)
         return df, scope
 
+    def steps(self, parts: list, begin: int, bound: dict, scope: Scope):
+        """Places of the edge to join next, of the node it leads to, and of the node it comes from.
+
+        A path in which no node comes twice grows to the right and then to the
+        left. In a cycle the order decides how many rows there are on the way, so
+        the known node goes on where the edges fan out least, and an edge
+        between two known nodes comes first.
+        """
+        nodes = [x.var for x in parts[::2] if x.var]
+        if len(set(nodes)) == len(nodes) or any(x.quantified for x in parts[1::2]) or begin not in bound:
+            yield from [(i, i + 1, i - 1) for i in range(begin + 1, len(parts), 2)] + [(i, i - 1, i + 1) for i in range(begin - 1, -1, -2)]
+            return
+        todo = set(range(1, len(parts), 2))
+        known = lambda i: i in bound or parts[i].var in scope
+        turned = {"out": "in", "in": "out"}
+        while todo:
+            ways = []
+            for i in todo:
+                for here, there in ((i - 1, i + 1), (i + 1, i - 1)):
+                    if known(here):
+                        direction = parts[i].direction if there > here else turned.get(parts[i].direction, "any")
+                        ways.append((0.0 if known(there) else self.graph.fan_out(parts[i].labels, direction), i, there, here))
+            _, at, there, here = min(ways)
+            if here not in bound:
+                bound[here] = scope[parts[here].var]
+            todo.remove(at)
+            yield at, there, here
+
     def unroll(self, parts: tuple) -> list:
         """`{n}` as n hops with nameless nodes between."""
         out = [parts[0]]

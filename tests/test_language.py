@@ -135,3 +135,23 @@ def test_loops_and_parallel_edges(spark):
     assert s.sql("MATCH (a)->+(b) WHERE element_id(a) = 1 AND element_id(b) = 3 RETURN count(*)").first()[0] == 4
     assert s.sql("MATCH (a)->+(a) RETURN count(*)").first()[0] == 1
     assert s.sql("MATCH (a)-[p]->(b)<-[q]-(a) WHERE element_id(b) = 2 RETURN count(*)").first()[0] == 2
+
+
+def test_cycles_in_either_spelling(spark):
+    # brute force over a random graph of two edge types with unlike degrees
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    arcs = [(i, rng.randrange(12), rng.randrange(12), rng.choice(["few", "many", "many", "many"])) for i in range(70)]
+    v = spark.range(12).select(F.col("id").alias("__gql_id"), F.array().cast("array<string>").alias("__gql_label"))
+    e = spark.createDataFrame(arcs, "__gql_edge_id bigint, __gql_source_id bigint, __gql_target_id bigint, __gql_type string")
+    s = GraphSession(spark)
+    s.register(Graph("g", v, e))
+    few, many = ([a for a in arcs if a[3] == k] for k in ("few", "many"))
+    want = sorted((p[1], q[1], q[2]) for p in few for q, r in itertools.permutations(many, 2) if p[2] == q[1] and q[2] == r[1] and r[2] == p[1])
+    ids = "RETURN element_id(a), element_id(b), element_id(c)"
+    for text in ("(a)-[:FEW]->(b)-[:MANY]->(c)-[:MANY]->(a)", "(b)-[:MANY]->(c)-[:MANY]->(a)-[:FEW]->(b)", "(c)<-[:MANY]-(b)<-[:FEW]-(a)<-[:MANY]-(c)"):
+        assert sorted(tuple(r) for r in s.sql(f"MATCH {text} {ids}").collect()) == want, text
+    path = s.sql("MATCH p = (a)-[:FEW]->(b)-[:MANY]->(a) RETURN p").collect()
+    assert sorted(tuple(n.vertex_id for n in r.p.nodes) for r in path) == sorted((p[1], p[2], p[1]) for p in few for q in many if p[2] == q[1] and q[2] == p[1])
