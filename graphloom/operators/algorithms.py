@@ -176,15 +176,21 @@ def wcc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def scc(vertices: DataFrame, edges: DataFrame, kernel_edges: int = SCC_KERNEL_EDGES) -> DataFrame:
     """vertex_id, component_id (smallest member), component_size.
 
-    Beyond *kernel_edges* each round colours every vertex with the smallest id
-    that reaches it; what reaches a colour's own vertex within the colour is a
-    component and leaves the graph.
+    Up to *kernel_edges* one task does all. Beyond, vertices without incoming or
+    without outgoing edges are components of their own and leave the graph, until
+    there are none; then every vertex is coloured with the smallest id that
+    reaches it; what reaches a colour's own vertex within the colour is a
+    component and leaves the graph, and so on.
     """
     edges = durable(edges.select("s", "t").where("s <> t").distinct().withColumn("id", F.lit(0).cast("long")), "edges")
     if edges.count() <= kernel_edges:
         return single_task(vertices, edges, scc_kernel, "vertex_id bigint, component_id bigint, component_size bigint")
     rest, found = durable(vertices, "rest"), []
-    while rest.count():
+    while True:
+        rest, edges, lone = _trimmed(rest, edges)
+        found += lone
+        if not rest.count():
+            break
         colour = rest.select("id", F.col("id").alias("c"))
         while True:
             better = colour.join(edges, colour["id"] == edges["s"]).groupBy("t").agg(F.min("c").alias("m")).withColumnRenamed("t", "id")
@@ -210,6 +216,20 @@ def scc(vertices: DataFrame, edges: DataFrame, kernel_edges: int = SCC_KERNEL_ED
     return sized(reduce(DataFrame.unionByName, found)) if found else sized(vertices.select("id", F.col("id").alias("root")))
 
 
+def _trimmed(rest: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Vertices that have incoming and outgoing edges among themselves, those edges, and (id, root) of the others."""
+    gone = []
+    while True:
+        both = rest.join(edges.select(F.col("s").alias("id")).distinct(), "id", "left_semi").join(edges.select(F.col("t").alias("id")).distinct(), "id", "left_semi")
+        both = durable(both, "rest")
+        lone = durable(rest.join(both, "id", "left_anti").select("id", F.col("id").alias("root")), "lone")
+        if lone.isEmpty():
+            return both, edges, gone
+        gone.append(lone)
+        edges = durable(edges.join(both.withColumnRenamed("id", "s"), "s", "left_semi").join(both.withColumnRenamed("id", "t"), "t", "left_semi").select("s", "t"), "edges")
+        rest = both
+
+
 def _triangles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Simple undirected pairs (u < v, arcs: how many of the two directions exist) and triangles a, b, c with the arcs opposite to each."""
     arcs = edges.select("s", "t").where("s <> t").distinct()

@@ -68,7 +68,10 @@ def _zstd_csv(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     low = path.lower()
     if low.endswith((".csv", ".csv.gz")):
-        return spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+        # a line with an odd number of quotes opens or closes a value that holds a newline; only then files can't be split
+        odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+        whole = not spark.read.text(path).where(odd).isEmpty()
+        return spark.read.option("header", True).option("multiLine", whole).option("escape", '"').csv(path)
     if low.endswith(".csv.zst"):
         return _zstd_csv(spark, path)
     if low.endswith(".parquet"):

@@ -167,3 +167,13 @@ def test_typed_graph(spark, tmp_path):
         with pytest.raises(GqlError, match=message):
             s.sql(text)
     assert s.sql("MATCH (a) RETURN count(*)").first()[0] == 2
+
+
+@pytest.mark.parametrize("kind", ["csv", "csv.gz"])
+def test_values_with_newlines_and_quotes(spark, tmp_path, kind):
+    pack = gzip.compress if kind == "csv.gz" else bytes
+    (tmp_path / f"v.{kind}").write_bytes(pack(b'i:ID,note\n1,"two\nlines, ""quoted"""\n2,plain\n'))
+    (tmp_path / f"e.{kind}").write_bytes(pack(b":START_ID,:END_ID,:TYPE\n1,2,x\n"))
+    s = GraphSession(spark, str(tmp_path / "g"))
+    s.sql(f"CREATE GRAPH g ANY; COPY GRAPH g FROM (VERTICES '{tmp_path}/v.{kind}', EDGES '{tmp_path}/e.{kind}') FORMAT GRAPH; SESSION SET GRAPH g")
+    assert s.sql("MATCH (a)->(b) RETURN a.note AS x, b.note AS y").first() == ('two\nlines, "quoted"', "plain")
