@@ -77,7 +77,7 @@ class LanguageModel:
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", alpha: float = 0.5) -> LanguageModel:
     """Fit on every row with a label. What reaches the driver is at most languages x 2**BUCKET_BITS counts."""
     size = 1 << BUCKET_BITS
-    src = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    src = docs.select(docs[f"`{label_col}`"].cast("string").alias("lang"), docs[f"`{text_col}`"].cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import corpus_pipeline as C
-from cases import words
+from pyspark.sql import functions as F
+from cases import mixed, table, words
 
 FORM = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -36,3 +38,36 @@ def test_stages_and_run(spark, tmp_path):
     packed = C.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept["decontamination"])
     assert sum(r.length for r in packed) == sum(len(t.split()) for t in kept["decontamination"].values())
+
+
+def stages(spark, docs, items, folder):
+    """Every stage on what the one before it kept, as run() has it: the rows after each."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    seen, out = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in C.STAGES:
+        now = stage(spark, seen, str(folder))
+        if name != "packing":
+            assert now.schema.simpleString() == seen.schema.simpleString(), name
+        now.write.parquet(f"{folder}/{name}")
+        seen = spark.read.parquet(f"{folder}/{name}")
+        out[name] = seen.collect()
+    return out
+
+
+def test_difficult_rows_and_clashing_columns(spark, tmp_path):
+    rows = mixed()
+    docs = table(spark, rows).withColumns({"accepted": F.lit("kept"), "a.b": F.lit(1)})
+    out = stages(spark, docs, [(0, None), (1, ""), (None, "w1 w2")], tmp_path)
+    for name in list(out)[:-1]:
+        for r in out[name]:
+            assert r["chunks_removed"] == r["PRED_LANG"] == "x" and r["accepted"] == "kept" and r["a.b"] == 1, name
+    first = Counter(r.doc_id for r in out["language_id"])
+    # NULL, empty and letterless texts go, the very long one and both of the repeated rows stay
+    assert not {100, 101, 102, 104} & set(first) and first[105] == 1 and first[106] == 2
+    assert {r.doc_id: r.text for r in out["language_id"]}[105] == dict(rows[:-1])[105]
+    assert Counter(r.doc_id for r in out["packing"] if r.length)[105] == -(-30_000 // 2048)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert all(not rows for rows in stages(spark, table(spark, []), [], tmp_path).values())
