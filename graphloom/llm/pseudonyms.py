@@ -148,8 +148,13 @@ def _date(m: str, f: Feistel, back: bool) -> str | None:
             return None
     # a day above 12 shows which of the two layouts was meant; that stays so
     amb = lambda o: len(p[0]) != 4 and date.fromordinal(o).day > 12
-    inside = _LOW <= day < _HIGH
-    new = date.fromordinal(1 + f.permute(day - 1, _LAST, f"date{swapped}", back, lambda v: (_LOW <= v + 1 < _HIGH) == inside and (not swapped or amb(v + 1))))
+    # dates of 1900 to 2099 are a domain of their own, the days before and after them another; neither is walked for the other's sake
+    plain = _HIGH - _LOW
+    if _LOW <= day < _HIGH:
+        x, size, place = day - _LOW, plain, lambda v: v + _LOW
+    else:
+        x, size, place = day - 1 - (plain if day >= _HIGH else 0), _LAST - plain, lambda v: v + 1 + (plain if v + 1 >= _LOW else 0)
+    new = date.fromordinal(place(f.permute(x, size, f"date{swapped}", back, lambda v: not swapped or amb(place(v)))))
     if len(p[0]) == 4:
         return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
     return f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year:04d}" if swapped else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"

@@ -50,8 +50,8 @@ def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passage_clusters(_table(spark, sf_dir, "documents")).select("doc_id", "passage_id", "start_word", "end_word")
 
 
-def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise_documents(_table(spark, sf_dir, "documents"), PII_KEY)
+def op8_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes = PII_KEY) -> DataFrame:
+    return pseudonyms.pseudonymise_documents(_table(spark, sf_dir, "documents"), key)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
