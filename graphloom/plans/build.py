@@ -11,6 +11,7 @@ from graphloom.functions.expressions import EdgeBinding, LetBinding, NodeBinding
 from graphloom.operators import procedures
 from graphloom.operators.durable import durable
 from graphloom.operators.expand import trails
+from graphloom.plans import factored
 from graphloom.plans import syntax as S
 from graphloom.plans.errors import GqlError, unsupported
 from graphloom.plans.graph import EDGE_ID, ID, LABELS, SOURCE, TARGET, TYPE, Graph
@@ -29,6 +30,8 @@ class Builder:
         self.scope = Scope()
         self.count = 0
         self.called = False
+        #: The match and its filters where RETURN reads nothing else.
+        self.only: tuple[S.Match, list] | None = None
 
     # ---- relations
 
@@ -73,7 +76,9 @@ class Builder:
                 while i + 1 < len(clauses) and isinstance(clauses[i + 1], S.Filter):
                     i += 1
                     filters += S.conjuncts(clauses[i].where)
+                first = self.df is None and not self.scope
                 self.match(c, filters)
+                self.only = (c, filters) if first and i + 2 == len(clauses) and isinstance(clauses[-1], S.Return) else None
             elif isinstance(c, S.Filter):
                 self.rows()
                 self.check_scalar(c.where)
@@ -427,7 +432,8 @@ class Builder:
         if any(S.has_aggregate(e) for e in solved):
             plain = [i for i, e in enumerate(solved) if not S.has_aggregate(e)]
             sums = [column(e, self.scope, True).alias(cols[i]) for i, e in enumerate(solved) if S.has_aggregate(e)]
-            df = df.groupBy(*[column(solved[i], self.scope).alias(cols[i]) for i in plain]).agg(*sums).select(*cols)
+            apart = factored.aggregated(self, *self.only, solved, cols) if self.only else None
+            df = apart if apart is not None else df.groupBy(*[column(solved[i], self.scope).alias(cols[i]) for i in plain]).agg(*sums).select(*cols)
         else:
             df = df.select(*[column(e, self.scope).alias(cols[i]) for i, e in enumerate(solved)])
         if r.distinct:
