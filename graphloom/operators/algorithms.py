@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.durable import durable
 from graphloom.operators.kernels import KERNEL_EDGES, dfs_kernel, louvain_kernel, scc_kernel, single_task
+from graphloom.operators.zones import within, within_pairs, zone_pairs
 from graphloom.plans.errors import GqlError
 from graphloom.plans.graph import EDGE_ID, ID, LABELS, SOURCE, TARGET, TYPE, Graph
 
@@ -276,16 +277,23 @@ def closeness(vertices: DataFrame, edges: DataFrame, direction: str = "out") ->
     """vertex_id, reachable_count, distance_sum, closeness_centrality: reached^2 / ((n - 1) * distance sum)."""
     n = vertices.count()
     step = durable(hops(edges, direction).select("f", "t").where("f <> t").distinct(), "hops")
-    level = vertices.select(F.col("id").alias("src"), F.col("id").alias("v"))
-    levels, depth, parts = [level], 0, []
-    while True:
-        depth += 1
-        seen = reduce(DataFrame.unionByName, levels)
-        level = durable(level.join(step, F.col("v") == F.col("f")).select("src", F.col("t").alias("v")).distinct().join(seen, ["src", "v"], "left_anti"), "level")
-        if not level.count():
-            break
+    # the first level is the hops themselves; zones of ids leave out what can't go on, or hasn't been seen
+    turns = zone_pairs(step, "f", "t")
+    level, depth, parts, ahead = step.select(F.col("f").alias("src"), F.col("t").alias("v")), 1, [], turns
+    levels = []
+    while ahead != set() and level.count():
         levels.append(level)
         parts.append(level.select("src", F.lit(depth).cast("long").alias("d")))
+        depth += 1
+        known = ahead is not None and turns is not None
+        middle = {y for _, y in ahead} & {x for x, _ in turns} if known else None
+        after = {(x, z) for x, y in ahead for w, z in turns if y == w} if known else None
+        more = within(level, "v", middle).join(within(step, "f", middle), F.col("v") == F.col("f")).where("src <> t").select("src", F.col("t").alias("v")).distinct()
+        seen = within_pairs(reduce(DataFrame.unionByName, levels), "src", "v", after)
+        if after == set():
+            break
+        level = durable(more.join(seen, ["src", "v"], "left_anti"), "level")
+        ahead = zone_pairs(level, "src", "v")
     if parts:
         own = reduce(DataFrame.unionByName, parts).groupBy("src").agg(F.count("*").alias("r"), F.sum("d").alias("d"))
     else:

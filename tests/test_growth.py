@@ -19,3 +19,12 @@ def test_hops_of_other_zones_are_left_out(spark):
     hops = hops.select("f", "t", F.expr(f"id + 1 div (f - {9 << 48})").alias("id"))
     got = trails(spark.createDataFrame([(1,)], "s bigint"), hops, 1, None)
     assert sorted((r.s, r.e) for r in got.collect()) == [(1, 2), (1, 3)]
+
+
+def test_closeness_writes_no_level_that_leads_nowhere(spark, monkeypatch):
+    written, real = [], A.durable
+    monkeypatch.setattr(A, "durable", lambda df, what: written.append(what) or real(df, what))
+    far = 5 << 48
+    v, e = spark.createDataFrame([(1,), (2,), (far,)], "id bigint"), spark.createDataFrame([(1, 1, far), (2, 2, far)], "id bigint, s bigint, t bigint")
+    assert sorted(map(tuple, A.closeness(v, e).collect())) == [(1, 1, 1, 0.5), (2, 1, 1, 0.5), (far, 0, 0, 0.0)]
+    assert written == ["hops"]
