@@ -28,3 +28,39 @@ def test_closeness_writes_no_level_that_leads_nowhere(spark, monkeypatch):
     v, e = spark.createDataFrame([(1,), (2,), (far,)], "id bigint"), spark.createDataFrame([(1, 1, far), (2, 2, far)], "id bigint, s bigint, t bigint")
     assert sorted(map(tuple, A.closeness(v, e).collect())) == [(1, 1, 1, 0.5), (2, 1, 1, 0.5), (far, 0, 0, 0.0)]
     assert written == ["hops"]
+
+
+def plain_dfs(arcs, direction, starts, known, max_depth, target):
+    near = {}
+    for e, s, t in sorted(arcs):
+        if direction != "in":
+            near.setdefault(s, []).append((0, e, t))
+        if direction != "out":
+            near.setdefault(t, []).append((1, e, s))
+    seen, out = set(), []
+
+    def visit(v, depth, parent, edge):
+        seen.add(v)
+        out.append((v, depth, parent, edge, len(out)))
+        if v == target:
+            return True
+        if max_depth is None or depth < max_depth:
+            for _, e, w in sorted(near.get(v, [])):
+                if w not in seen and visit(w, depth + 1, v, e):
+                    return True
+        return False
+
+    for s in starts:
+        if s in known and s not in seen and visit(s, 0, None, None):
+            break
+    return out
+
+
+@pytest.mark.parametrize("direction, max_depth, target", [("out", None, None), ("both", 3, None), ("in", None, 7)])
+def test_dfs_holds_arrays(spark, monkeypatch, direction, max_depth, target):
+    monkeypatch.setattr(A, "single_task", None)
+    rng = random.Random(3)
+    arcs = [(i + 1, rng.randrange(1, 14), rng.randrange(1, 14)) for i in range(40)] + [(100, 3, 50), (101, 50, 51)]
+    v, e = graph(spark, arcs, 14)
+    got = A.dfs(v, e, [2, 5, 99], direction=direction, max_depth=max_depth, target=target).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[4]) == plain_dfs(arcs, direction, [2, 5, 99], set(range(1, 14)), max_depth, target)
