@@ -64,3 +64,69 @@ def test_dfs_holds_arrays(spark, monkeypatch, direction, max_depth, target):
     v, e = graph(spark, arcs, 14)
     got = A.dfs(v, e, [2, 5, 99], direction=direction, max_depth=max_depth, target=target).collect()
     assert sorted(map(tuple, got), key=lambda r: r[4]) == plain_dfs(arcs, direction, [2, 5, 99], set(range(1, 14)), max_depth, target)
+
+
+def plain_louvain(nodes, arcs, resolution=1.0, max_iterations=32, max_levels=32, tolerance=1e-12):
+    """All components together, in dicts."""
+    place = {v: i for i, v in enumerate(nodes)}
+    near = [{} for _ in nodes]
+    for _, s, t in sorted(arcs):
+        if s != t:
+            near[place[s]][place[t]] = near[place[t]][place[s]] = 1.0
+    base, total = near, float(sum(map(len, near)))
+    member, levels, iterations, converged = list(range(len(nodes))), 0, 0, False
+    while levels < max_levels:
+        degree = [sum(x.values()) for x in near]
+        own, mass, least = list(range(len(near))), list(degree), tolerance * total
+        for turn in range(1, max_iterations + 1):
+            any_moved = False
+            for v, links in enumerate(near):
+                if not degree[v]:
+                    continue
+                here = own[v]
+                weight = {here: 0.0}
+                for w, x in links.items():
+                    if w != v:
+                        weight[own[w]] = weight.get(own[w], 0.0) + x
+                mass[here] -= degree[v]
+                gain = {c: x - resolution * degree[v] * mass[c] / total for c, x in weight.items()}
+                best, high, now = here, gain[here], gain[here]
+                for c, x in gain.items():
+                    if x > high + least or (x > now + least and abs(x - high) <= least and c < best):
+                        best, high = c, x
+                own[v] = best
+                mass[best] += degree[v]
+                any_moved |= best != here
+            if not any_moved:
+                break
+        levels, iterations = levels + 1, iterations + turn
+        names = {c: i for i, c in enumerate(sorted(set(own)))}
+        if len(names) == len(near):
+            converged = True
+            break
+        member = [names[own[c]] for c in member]
+        joined = [{} for _ in names]
+        for v, links in enumerate(near):
+            for w, x in links.items():
+                a, b = names[own[v]], names[own[w]]
+                joined[a][b] = joined[a].get(b, 0.0) + x
+        near = joined
+    first = {}
+    for i, c in enumerate(member):
+        first.setdefault(c, nodes[i])
+    inside = sum(1 for i, x in enumerate(base) for w in x if member[w] == member[i])
+    around = {}
+    for i, x in enumerate(base):
+        around[member[i]] = around.get(member[i], 0) + len(x)
+    q = inside / total - resolution * sum((a / total) ** 2 for a in around.values())
+    return sorted((nodes[i], first[c], member.count(c), round(q, 9), levels, iterations, converged) for i, c in enumerate(member))
+
+
+def test_louvain_by_groups_of_components(spark, monkeypatch):
+    monkeypatch.setattr(A, "LOUVAIN_PAIRS", 40)
+    rng = random.Random(5)
+    arcs = [(rng.randrange(1 << 40), 100 * k + rng.randrange(30), 100 * k + rng.randrange(30)) for k in range(4) for _ in range(40 + 15 * k)]
+    nodes = sorted({x for _, s, t in arcs for x in (s, t)} | {1000})
+    v, e = spark.createDataFrame([(x,) for x in nodes], "id bigint"), spark.createDataFrame(arcs, "id bigint, s bigint, t bigint")
+    got = sorted((*r[:3], round(r.modularity, 9), *r[4:]) for r in A.louvain(v, e).collect())
+    assert got == plain_louvain(nodes, arcs)
